@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import langid, mixing, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op6_language_id": langid.op6_language_id,
         "op9_source_mixing": mixing.op9_source_mixing,
     }
 
