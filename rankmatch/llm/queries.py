@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, secrets
+from . import langid, mixing, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_language_id": langid.op6_language_id,
+        "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op9_source_mixing": mixing.op9_source_mixing,
     }
 
