@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, secrets, simhash
+from . import cws, langid, mixing, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": langid.op6_language_id,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op9_source_mixing": mixing.op9_source_mixing,
+        "op10_document_fingerprints": cws.op10_document_fingerprints,
     }
 
 
