@@ -28,20 +28,40 @@ def alternatives(char: str, atom: Atom, unicode: Unicode = Unicode.FULL) -> list
 
 
 def regex_of(atom: Atom, unicode: Unicode = Unicode.FULL, possessive: bool = True) -> str:
-    """Finds something in a text if and only if the atom matches it, but for fast scoring's lost long gaps."""
+    """Finds something in a text if and only if the atom matches it, but for fast scoring's lost long gaps.
+
+    ``possessive`` is for Java, whose classes test characters beyond Latin-1 one by one: ASCII characters that do not match
+    are told apart first, by one bit set.
+    """
     more = "*+" if possessive else "*"
-    sets = ["".join(map(_cp, alternatives(c, atom, unicode))) for c in atom.needle]
-    if not all(sets):
+    every = [alternatives(c, atom, unicode) for c in atom.needle]
+    if not all(every):
         return "[^\\x{0}-\\x{10ffff}]"  # a character to which nothing folds
     white = "[" + "".join(_cp(ord(c)) for c in WHITE) + "]"
-    literal = "".join(f"[{s}]" for s in sets)
+    literal = "".join(_one(cps, possessive) for cps in every)
     lead = "" if _is_white(atom.needle[0]) else white + more
     tail = "" if _is_white(atom.needle[-1]) else white + "*"
     if atom.mode == Mode.FUZZY:
-        return "\\A" + "".join(f"[^{s}]{more}[{s}]" for s in sets)
+        return "\\A" + "".join(_others(cps, possessive) + _one(cps, possessive) for cps in every)
     return {Mode.SUBSTRING: literal, Mode.PREFIX: f"\\A{lead}{literal}", Mode.POSTFIX: f"{literal}{tail}\\z", Mode.EXACT: f"\\A{lead}{literal}{tail}\\z"}[atom.mode]
 
 
+def _ascii_but(cps: list[int]) -> str:
+    return "[" + "".join(_cp(c) for c in range(0x80) if c not in cps) + "]"
+
+
+def _one(cps: list[int], java: bool) -> str:
+    found = "[" + "".join(map(_cp, cps)) + "]"
+    return f"(?!{_ascii_but(cps)}){found}" if java and cps[-1] >= 0x80 else found
+
+
+def _others(cps: list[int], java: bool) -> str:
+    """Any number of characters that are not among ``cps``."""
+    if not java:
+        return "[^" + "".join(map(_cp, cps)) + "]*"
+    return f"(?:{_ascii_but(cps)}++|[^\\x{{0}}-\\x{{7f}}{''.join(_cp(c) for c in cps if c >= 0x80)}])*+"
+
+
 def _is_white(char: str) -> bool:
     return char in WHITE_ASCII or char in WHITE
 
