@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, langid, line_dedup, mixing, packing, secrets, simhash
+from . import cws, langid, licenses, line_dedup, mixing, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_language_id": langid.op6_language_id,
