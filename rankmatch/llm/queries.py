@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, langid, licenses, line_dedup, mixing, packing, secrets, simhash
+from . import cws, langid, licenses, line_dedup, mixing, packing, secrets, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_language_id": langid.op6_language_id,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_document_fingerprints": cws.op10_document_fingerprints,
     }
