@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, langid, licenses, line_dedup, mixing, packing, secrets, simhash, substring
+from . import cws, langid, licenses, line_dedup, media, mixing, packing, secrets, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": licenses.op2_license_scan,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_media_copies": media.op5_media_copies,
         "op6_language_id": langid.op6_language_id,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_substring_dedup": substring.op8_substring_dedup,
