@@ -127,6 +127,20 @@ class Corpus:
         keys = keys or [[] for _ in texts]
         return self._with(self.items.unionByName(self._local(list(zip(texts, keys)), self.length())), self.keyed or any(keys))
 
+    def add_all_async(self, texts: Iterable[str]) -> Future[Corpus]:
+        """``add_all`` in the background; this corpus stays as it is, so a failure needs no undoing."""
+
+        def run() -> Corpus:
+            made = self.add_all(texts).persist()
+            try:
+                made.length()
+            except Exception:
+                made.close()
+                raise
+            return made
+
+        return _pool.submit(run)
+
     def append(self, other: Corpus) -> Corpus:
         """The other corpus's items at the end; its rows must have the same columns."""
         n = self.length()
@@ -221,19 +235,6 @@ class Corpus:
         return One(self)
 
 
-def _async(mode: Mode, raws: bool = False):
-    def method(self, query: str, **options) -> Future[list[Row]]:
-        return self.submit(mode, query, raws, **options)
-
-    return method
-
-
-for _mode, _names in {Mode.FUZZY: ("fuzzy",), Mode.SUBSTRING: ("substring",), Mode.PREFIX: ("prefix",), Mode.POSTFIX: ("postfix", "suffix"), Mode.EXACT: ("exact",)}.items():
-    for _name in _names:
-        setattr(Corpus, f"{_name}_async", _async(_mode))
-        setattr(Corpus, f"{_name}_raws_async", _async(_mode, True))
-
-
 def build_async(build: Callable[[], Corpus]) -> Future[Corpus]:
     """A corpus made and persisted in the background; a failure leaves nothing behind."""
 
@@ -251,7 +252,7 @@ def build_async(build: Callable[[], Corpus]) -> Future[Corpus]:
 
 @dataclass(frozen=True)
 class One:
-    """The best hit, or None."""
+    """The best hit, or None: ``fuzzy``, ``fuzzy_raw``, ``fuzzy_async``, ``fuzzy_raw_async`` and so for every mode."""
 
     corpus: Corpus
 
@@ -261,17 +262,25 @@ class One:
     def raw(self, mode: Mode, query: str, **options) -> Row | None:
         return self.corpus.raws(mode, query, **options | {"limit": 1}).first()
 
-    def fuzzy(self, query: str, **options) -> Row | None:
-        return self.find(Mode.FUZZY, query, **options)
 
-    def substring(self, query: str, **options) -> Row | None:
-        return self.find(Mode.SUBSTRING, query, **options)
+def _many(mode: Mode, raws: bool):
+    def method(self: Corpus, query: str, **options) -> Future[list[Row]]:
+        return self.submit(mode, query, raws, **options)
 
-    def prefix(self, query: str, **options) -> Row | None:
-        return self.find(Mode.PREFIX, query, **options)
+    return method
 
-    def postfix(self, query: str, **options) -> Row | None:
-        return self.find(Mode.POSTFIX, query, **options)
 
-    def exact(self, query: str, **options) -> Row | None:
-        return self.find(Mode.EXACT, query, **options)
+def _one(mode: Mode, raw: bool, wait: bool):
+    def method(self: One, query: str, **options):
+        find = self.raw if raw else self.find
+        return find(mode, query, **options) if wait else _pool.submit(find, mode, query, **options)
+
+    return method
+
+
+for _mode in Mode:
+    for _name in (_mode.value, *(["suffix"] if _mode == Mode.POSTFIX else [])):
+        setattr(Corpus, f"{_name}_async", _many(_mode, False))
+        setattr(Corpus, f"{_name}_raws_async", _many(_mode, True))
+        for _raw, _wait in ((False, True), (True, True), (False, False), (True, False)):
+            setattr(One, f"{_name}{'_raw' * _raw}{'' if _wait else '_async'}", _one(_mode, _raw, _wait))

@@ -96,6 +96,8 @@ def test_life(spark):
         futures = [c.fuzzy_async("cfg", limit=1), c.exact_async("my_cfg"), c.suffix_raws_async("cfg")]
         assert [len(f.result()) for f in futures] == [1, 1, 1]
         assert c.one.fuzzy("cfg")["idx"] == 1 and c.one.exact("nothing") is None and c.one.raw(Mode.PREFIX, "my")["value"] == "my_cfg"
+        assert c.one.suffix_raw("cfg")["value"] == "my_cfg" and c.one.fuzzy_async("cfg").result()["idx"] == 1 and c.one.exact_raw_async("x").result() is None
+        assert c.add_all_async(["new"]).result().length() == 6 and c.length() == 5
     c.close()
     with pytest.raises(ClosedCorpusError):
         c.fuzzy("cfg")
