@@ -21,13 +21,14 @@ from .runtime import col
 
 @dataclass(frozen=True)
 class LangConfig:
-    """``least_score``: the pipeline's stage rejects documents whose best cosine is lower, and those without letters."""
+    """``least_score``: the pipeline's stage rejects texts of ``long_text`` characters or more whose best cosine is lower."""
 
     dims: int = 1024
     seed: int = 11
     chunk_chars: int = 400_000
     cache_rows: int = 1 << 14
-    least_score: float = 0.02
+    least_score: float = 0.05
+    long_text: int = 500
 
 
 @functools.cache
