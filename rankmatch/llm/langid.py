@@ -186,7 +186,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 scores += [float(x) if h else 0.0 for x, h in zip(np.clip(cos[np.arange(len(top)), top], 0, 1), has)]
             yield pd.DataFrame({"lang": got, "score": scores})
 
-    out = df.withColumn("__best", best(col(text).cast("string")))
+    out = df.withColumn("__best", best.asNondeterministic()(col(text).cast("string")))  # else a filter on the result predicts twice
     return out.withColumn("lang_pred", F.col("__best.lang")).withColumn("score", F.col("__best.score")).drop("__best")
 
 
