@@ -5,7 +5,7 @@ from rankmatch import ClosedCorpusError, Corpus, KeyKind, Mode, Scoring, SearchK
 from rankmatch.functions.highlight import highlight_html, to_utf16
 from rankmatch.streaming.search import stream_search
 
-NAMES = ["configure", "cfg_helper", "my_cfg", "ffz_config", "no_match_xyz"]
+NAMES = ["configure", "cfg_helper", "my_cfg", "xyz_config", "no_match_xyz"]
 
 
 @pytest.fixture(scope="module")

@@ -23,8 +23,8 @@ def score(query, text, scoring=Scoring.FAST, mode=Mode.FUZZY, preset=DEFAULT, ca
         ("cfg", "abcfgval", 56, None),
         ("cfg", "configure", 57, 61),
         ("cfg", "my_cfg", 72, 80),
-        ("cfg", "ffz_config", 57, 57),
-        ("fb", "flutter_rust_bridge", 42, 46),
+        ("cfg", "xyz_config", 57, 57),
+        ("fb", "founder_must_bridge", 42, 46),
         ("fzd", "fuzzy.dart", 64, 68),
         ("lens", "code_lens", 92, 104),
         ("lens", "flensburg", 76, 76),
@@ -47,7 +47,7 @@ def test_golden_scores(query, text, fast, nucleo):
 @pytest.mark.parametrize(
     ("query", "text", "mode", "hit"),
     [
-        ("zzz", "flutter_rust_bridge", "fuzzy", False),
+        ("zzz", "founder_must_bridge", "fuzzy", False),
         ("abc", "ab", "fuzzy", False),
         ("rust", "RUST", "fuzzy", True),
         ("Rust", "rust", "fuzzy", False),
