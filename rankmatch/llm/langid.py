@@ -25,7 +25,7 @@ class LangConfig:
 
     dims: int = 1024
     seed: int = 11
-    chunk_chars: int = 400_000
+    chunk_chars: int = 200_000
     cache_rows: int = 1 << 14
     least_score: float = 0.05
     long_text: int = 500
@@ -48,7 +48,7 @@ class Space:
         self.config, self.index = config, {0: 0}
         self.letters = [self._letter(0)]
         self.rows, self.rolled = np.full(1 << 21, -1, dtype=np.int32), None
-        self.bound, self.used = np.empty((config.cache_rows, config.dims), dtype=np.float32), 0
+        self.bound, self.used = np.empty((config.cache_rows, config.dims), dtype=np.int8), 0
 
     def _letter(self, c: int) -> np.ndarray:
         return np.random.default_rng([self.config.seed, c]).integers(0, 2, self.config.dims, dtype=np.int8) * 2 - 1
@@ -80,7 +80,7 @@ class Space:
         self.bound[self.used : self.used + len(new)] = self.bind(grams[new])
         self.rows[at[new]] = np.arange(self.used, self.used + len(new))
         self.used += len(new)
-        return self.bound[self.rows[at]]
+        return self.bound[self.rows[at]].astype(np.float32)
 
 
 def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def grams_of(space: Space, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
 def _chunks(texts: list[str], limit: int) -> Iterator[slice]:
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and (size + len(t) > limit or i - start >= 256):
+        if i > start and (size + len(t) > limit or i - start >= 128):
             yield slice(start, i)
             start, size = i, 0
         size += len(t)
