@@ -42,21 +42,22 @@ _encoders: dict = {}
 def encoder(path: str):
     """An encoder with the file's vocabulary whose ids equal the tokenizers library's, several times as fast.
 
-    The file's ids are in order of merging, so that they serve as ranks. Strings of special tokens are ordinary text.
+    The file's ids are in order of merging, so that they serve as ranks. Added tokens split a text and are one id each.
     """
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        model = file["model"]["vocab"]
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(shown[c] for c in token): i for token, i in model.items() if all(c in shown for c in token)}
-        special = {t: i for t, i in model.items() if t == "<|endoftext|>"}
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
         for token in special:
             ranks.pop(token.encode(), None)
-        _encoders[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -76,7 +77,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", config: PackC
         for batch in batches:
             ids, rows = [], []
             for k, t in zip(batch["doc_id"], batch["text"]):
-                own = np.array([*enc.encode_ordinary(t), end], dtype="<u4")
+                own = np.array([*enc.encode(t, allowed_special="all"), end], dtype="<u4")
                 for i, (start, n) in enumerate(cut(len(own), capacity)):
                     part = own[start : start + n]
                     rows.append((k, i, start, n, zlib.crc32(part.tobytes())))

@@ -52,6 +52,18 @@ def test_packing_holds_every_token_once(spark, docs):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
 
 
+def test_added_tokens_in_texts_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.PackConfig().path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", "<|endoftext| >", "it's<|endoftext|>'s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in packing.pieces(df, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i]["ids"]) == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    assert list(got[0]["ids"]) == [64, 220, 50256, 275, 2]
+
+
 def test_plans_are_best_fit():
     rng = np.random.default_rng(2)
     for _ in range(30):
