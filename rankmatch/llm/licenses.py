@@ -118,6 +118,8 @@ ORDINARY = (
     "The river rose above the notice that was painted on the wall.",
 )
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: Words that mark a line as a comment; signs are no tokens anyway.
+MARK = "(?mi)^[ \\t]*(?:dnl|rem)[ \\t]+"
 STOP = frozenset("a an and any are as at be been by can for form from have if in into is it its kind may no not of on one or other part shall should that the this to under via was were with you your all either following must used use work free name terms file copy along between over later".split())
 
 
@@ -296,24 +298,40 @@ def licence_of(lines: Column, config: LicenseConfig) -> Column:
 
 
 def scan_licenses(df: DataFrame, text: str = "text", config: LicenseConfig = LicenseConfig()) -> DataFrame:
-    """``df`` with ``licenses``: ``array<struct<start,stop,family,probability>>`` of the paragraphs (lines) with a licence.
+    """``df`` with ``licenses``: ``array<struct<start,stop,family,probability>>`` of the paragraphs with a licence.
 
+    A paragraph is a line, or all lines up to a blank one, without comment marks, where none of them has the licence alone.
     Positions are code points. Null and empty texts have none; repeated rows have their own; a column of that name is replaced.
     """
     t = text_or_empty(text)
     gate = "(?i)\\b(?:" + "|".join(re.escape(w).replace("license", "licen[cs]e") for w in fit(config).gate) + ")\\b"
-    lines = F.split(t, "\n")
-    start = F.expr("struct(cast(0 as bigint) as at, cast(array() as array<struct<start:bigint,stop:bigint,line:string>>) as found)")
+    lines = F.concat(F.split(t, "\n"), F.array(F.lit("")))  # an empty line ends the last paragraph
+    start = F.expr("struct(cast(0 as bigint) as at, 1 as n, 0 as first, cast(0 as bigint) as begin, cast(0 as bigint) as end, false as asked, cast(array() as array<struct<start:bigint,stop:bigint,line:string>>) as found)")
 
     def step(s: Column, line: Column) -> Column:
-        stop = s["at"] + F.length(line)
-        hit = F.array_append(s["found"], F.struct(s["at"].alias("start"), stop.alias("stop"), line.alias("line")))
-        return F.struct((stop + 1).alias("at"), F.when(line.rlike(gate), hit).otherwise(s["found"]).alias("found"))
+        stop, asked, inside = s["at"] + F.length(line), line.rlike(gate), s["first"] > 0
+        hit = F.struct(s["at"].alias("start"), stop.alias("stop"), line.alias("line"))
+        whole = F.struct(s["begin"].alias("start"), s["end"].alias("stop"), F.array_join(F.slice(lines, F.greatest(s["first"], F.lit(1)), F.greatest(s["n"] - s["first"], F.lit(0))), "\n").alias("line"))
+        blank = ~line.rlike("[\\p{L}\\p{N}]")  # comment marks alone too
+        found = F.when(blank & s["asked"] & (s["n"] - s["first"] > 1), F.array_append(s["found"], whole)).when(~blank & asked, F.array_append(s["found"], hit)).otherwise(s["found"])
+        return F.struct(
+            (stop + 1).alias("at"),
+            (s["n"] + 1).alias("n"),
+            F.when(blank, F.lit(0)).when(inside, s["first"]).otherwise(s["n"]).alias("first"),
+            F.when(inside, s["begin"]).otherwise(s["at"]).alias("begin"),
+            stop.alias("end"),
+            (~blank & (asked | s["asked"])).alias("asked"),
+            found.alias("found"),
+        )
 
     asked = F.when(t.rlike(gate), F.aggregate(lines, start, step, lambda s: s["found"])).otherwise(F.expr("cast(array() as array<struct<start:bigint,stop:bigint,line:string>>)"))
-    named = licence_of(asked, config)
-    sure = F.filter(named, lambda x: x["d"].isNotNull())
-    return df.withColumn("licenses", F.transform(sure, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["d"]["family"].alias("family"), x["d"]["probability"].alias("probability"))))
+    unmarked = F.transform(asked, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.regexp_replace(x["line"], MARK, "").alias("line")))
+    named = licence_of(unmarked, config)
+    found = F.transform(F.filter(named, lambda x: x["d"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["d"]["family"].alias("family"), x["d"]["probability"].alias("probability")))
+    out = df.withColumn("licenses", found)
+    within = lambda x, y: (x["start"] <= y["start"]) & (y["stop"] <= x["stop"]) & (y["stop"] - y["start"] < x["stop"] - x["start"]) & (x["family"] == y["family"])
+    alone = F.filter("licenses", lambda x: ~F.exists("licenses", lambda y: within(x, y)))
+    return out.withColumn("licenses", F.when(F.size("licenses") > 1, F.array_sort(alone)).otherwise(F.col("licenses")))
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -101,3 +101,22 @@ def test_licence_spans_are_code_points(spark):
     text = "é𝄞 first line\nReleased under the MIT License.\nlast"
     found = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()["licenses"]
     assert [(text[x["start"] : x["stop"]], x["family"]) for x in found] == [("Released under the MIT License.", "mit")]
+
+
+def test_wrapped_licences_are_found_whole(spark):
+    import textwrap
+
+    rows = []
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            known = licenses.classify(t)
+            wrapped = textwrap.wrap(t, 70)
+            if known and known[0] == family and len(wrapped) > 1:
+                for before in ("", "# ", " * ", "dnl "):
+                    body = "\n".join(before + line for line in wrapped)
+                    rows.append((f"é𝄞 before it\n{before.replace('dnl', '')}\n{body}\n\nafter it", body, family))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "text string, body string, family string")).collect()
+    for r in got:
+        spans = [(r["text"][x["start"] : x["stop"]], x["family"]) for x in r["licenses"]]
+        assert any(f == r["family"] and s in r["body"] for s, f in spans), r["text"]
+    assert sum((r["body"], r["family"]) in [(r["text"][x["start"] : x["stop"]], x["family"]) for x in r["licenses"]] for r in got) > len(got) / 2
