@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .runtime import durable
 
+#: Edges that one task holds at least: few edges make few shuffle files, many make many tasks.
+TASK_ROWS = 50_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that an edge links to another; root is the least node of its component.
@@ -20,13 +23,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     e = durable(e.distinct())
     seen = _state(e)
+    tasks = 1 + seen[0] // TASK_ROWS
     while True:
-        both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
+        e = e.coalesce(tasks)
+        both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m"))).coalesce(tasks)
         least = both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct()
+        large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("lo").alias("v")).coalesce(tasks).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = large.join(root, "u").where("v != lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-        e = durable(small.union(root.select("u", F.col("lo").alias("v"))).distinct())
+        e = durable(small.union(root.select("u", F.col("lo").alias("v"))).coalesce(tasks).distinct())
         now = _state(e)
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -34,5 +39,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _state(e: DataFrame) -> tuple:
-    """Equal before and after a round only if the edges are the same."""
+    """The number of edges first; equal before and after a round only if the edges are the same."""
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())

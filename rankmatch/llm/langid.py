@@ -25,7 +25,7 @@ class LangConfig:
 
     dims: int = 1024
     seed: int = 11
-    chunk_chars: int = 200_000
+    chunk_chars: int = 100_000
     cache_rows: int = 1 << 14
     least_score: float = 0.05
     long_text: int = 500
