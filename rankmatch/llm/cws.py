@@ -140,24 +140,26 @@ def with_next(df: DataFrame, key: str, text: str, body, schema: str) -> DataFram
     come first; the last row is followed by the first.
     """
     parts = 2 * parallelism(df.sparkSession)
-    docs = df.select(col(key).alias("k"), text_or_empty(text).alias("t"))
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {dict(df.dtypes)[key]}; the order of documents needs an integer key")
+    docs = df.select(col(key).cast("bigint").alias("k"), text_or_empty(text).alias("t"))
     cuts = docs.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]  # one number a range
     cuts = np.unique(np.array(cuts if cuts is not None else [], dtype=np.int64))
 
     @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        null = k.isna()
-        return pd.Series(np.where(null, -1, np.searchsorted(cuts, k.fillna(0).to_numpy(np.int64), side="left") * 2)).astype("int32")
+    def place(k: pd.Series, null: pd.Series) -> pd.Series:
+        return pd.Series(np.where(null, -1, np.searchsorted(cuts, k.to_numpy(np.int64), side="left") * 2)).astype("int32")
 
-    dealt = docs.withColumn("b", bucket("k"))
-    heads = {r["b"]: r["k"] for r in docs.select("k").withColumn("b", bucket("k")).groupBy("b").agg(F.min("k").alias("k")).collect()}  # a row a range
+    bucket = place(F.coalesce("k", F.lit(0)), F.col("k").isNull())  # pandas would round long keys beside a null
+    dealt = docs.withColumn("b", bucket)
+    heads = {r["b"]: r["k"] for r in docs.select("k").withColumn("b", bucket).groupBy("b").agg(F.min("k").alias("k")).collect()}  # a row a range
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     table = df.sparkSession.createDataFrame([(heads[b], b, before[b]) for b in order], "hk bigint, hb int, first int")
     dealt = dealt.join(F.broadcast(table), (F.col("b") == F.col("hb")) & F.col("k").eqNullSafe(F.col("hk")), "left")  # a row a range
     own = F.struct(F.col("b"), F.lit(False).alias("ahead"))
     sent = dealt.withColumn("to", F.explode(F.when(F.col("first").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("first").alias("b"), F.lit(True).alias("ahead"))))))
-    rows = sent.select(F.col("to.b").alias("b"), F.col("to.ahead").alias("ahead"), "k", "t").repartition(parts, "b").sortWithinPartitions("b", "ahead", "k", "t")
+    rows = sent.select(F.col("to.b").alias("b"), F.col("to.ahead").alias("ahead"), "k", "t").repartition(parts, "b").sortWithinPartitions("b", "ahead", "k", "t").withColumn("k", F.col("k").cast("string"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         held = None  # (b, key, text) that waits for what follows it
@@ -173,7 +175,7 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text", co
     """Each text's and its edited text's signature, and its likeness to the edited and to the next document's text.
 
     Null texts are empty; the signature of a text without words is all zeros; equal texts have equal signatures. A table
-    of one row is followed by itself.
+    of one row is followed by itself. The key must be an integer; another type raises a TypeError.
     """
     import hashlib
 
@@ -197,7 +199,8 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text", co
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return with_next(df, key, text, body, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = with_next(df, key, text, body, "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(dict(df.dtypes)[key]))
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:

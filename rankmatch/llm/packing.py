@@ -88,8 +88,9 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", config: PackC
                 out["ids"] = ids
             yield out
 
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return df.select(col(key).alias("doc_id"), text_or_empty(text).alias("text")).mapInPandas(encode, schema)
+    schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    rows = df.select(col(key).cast("string").alias("doc_id"), text_or_empty(text).alias("text"))  # pandas would round long ids beside a null
+    return rows.mapInPandas(encode, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 @dataclass

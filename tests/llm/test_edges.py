@@ -86,3 +86,21 @@ def test_stages_on_hard_rows(spark, edge):
     assert {4, 5, None, 7} <= kept and not {1, 2, 3, 8} & kept
     one = [r["doc_id"] for r in found["simhash_near_dedup"].collect()]
     assert one.count(5) == 1 and one.count(1) == 1 and 2 not in one and None in one and one.count(7) == 1
+
+
+def test_long_ids_beside_null_ids(spark):
+    """Ids above 2**53 come out as they went in where another id of the batch is null."""
+    ids = [None, 2**53 + 1, 2**53 + 3, 2**53 + 5]
+    shared = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(k, f"own{i} text {shared} end{i}") for i, k in enumerate(ids)], "doc_id bigint, text string").coalesce(1)
+    key = lambda x: (x is not None, x or 0)
+    assert sorted({r["doc_id"] for r in packing.pieces(docs).collect()}, key=key) == ids
+    got = cws.fingerprint_edits(docs).collect()
+    assert sorted((r["doc_id"] for r in got), key=key) == ids
+    found = substring.passages(docs).collect()
+    assert sorted({x for r in found for x in (r["doc_id"], r["other_id"])}, key=key) == ids
+
+
+def test_fingerprints_refuse_other_keys(spark):
+    with pytest.raises(TypeError, match="integer key"):
+        cws.fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
