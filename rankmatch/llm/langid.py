@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import col
+from .runtime import col, small_batches
 
 
 @dataclass(frozen=True)
@@ -155,6 +155,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", config: LangCon
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
+    small_batches(df.sparkSession)
     rows = df.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang"))
     summed = rows.mapInPandas(bundle, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
@@ -186,6 +187,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 scores += [float(x) if h else 0.0 for x, h in zip(np.clip(cos[np.arange(len(top)), top], 0, 1), has)]
             yield pd.DataFrame({"lang": got, "score": scores})
 
+    small_batches(df.sparkSession)
     out = df.withColumn("__best", best.asNondeterministic()(col(text).cast("string")))  # else a filter on the result predicts twice
     return out.withColumn("lang_pred", F.col("__best.lang")).withColumn("score", F.col("__best.score")).drop("__best")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import col, durable, sized_broadcast, text_or_empty
+from .runtime import col, durable, sized_broadcast, small_batches, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", config: PackC
             yield out
 
     schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    small_batches(df.sparkSession)
     rows = df.select(col(key).cast("string").alias("doc_id"), text_or_empty(text).alias("text"))  # pandas would round long ids beside a null
     return rows.mapInPandas(encode, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 

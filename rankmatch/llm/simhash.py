@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import col, durable, parallelism, sized_broadcast, text_or_empty
+from .runtime import col, durable, parallelism, sized_broadcast, small_batches, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -171,6 +171,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", conf
     Null and empty texts have fingerprint 0 and are linked like others; null keys are never the least of others. Equal
     fingerprints are one row before the search, so that groups of copies of any size cost what one document does.
     """
+    small_batches(df.sparkSession)
     docs = durable(df.select(col(key).alias("doc_id"), fingerprints(text, config).alias("fp")))
     distinct = durable(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     known = durable(distinct.join(classes(distinct, config), "fp"))
