@@ -15,16 +15,32 @@ def to_utf16(text: Column, indices: Column) -> Column:
 
 
 def highlight_html(text: Column, indices: Column, tag: str = "mark") -> Column:
-    """``text`` escaped for HTML, with runs of neighbouring positions in one element."""
-    chars = F.filter(F.transform(F.split(text, ""), lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))), lambda c: c != "")
-    marked = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.array_contains(indices, i).alias("m")))
-    close, open_ = f"</{tag}>", f"<{tag}>"
+    """``text`` escaped for HTML, with runs of neighbouring positions in one element; ``indices`` are sorted.
 
-    def step(state: Column, x: Column) -> Column:
-        turn = F.when(x["m"] & ~state["m"], F.lit(open_)).when(~x["m"] & state["m"], F.lit(close)).otherwise(F.lit(""))
-        return F.struct(F.concat(state["s"], turn, x["c"]).alias("s"), x["m"].alias("m"))
+    Each position adds the piece since the one before it: the work grows with the text, not with text times positions.
+    """
+    close, open_ = f"</{tag}>", f"<{tag}>"
 
-    return F.aggregate(marked, F.struct(F.lit("").alias("s"), F.lit(False).alias("m")), step, lambda s: F.concat(s["s"], F.when(s["m"], F.lit(close)).otherwise(F.lit(""))))
+    def plain(s: Column, a: Column, b: Column) -> Column:
+        return F.array_join(F.slice(s["chars"], a + 1, F.greatest(b - a, F.lit(0))), "")
+
+    def piece(s: Column, i: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(s["at"], k - 1), F.lit(-1))
+        after = F.coalesce(F.get(s["at"], k + 1), F.lit(-1))
+        starts = F.when((k == 0) | (before < i - 1), F.concat(plain(s, before + 1, i), F.lit(open_))).otherwise(F.lit(""))
+        ends = F.when(after == i + 1, F.lit("")).otherwise(F.lit(close))
+        return F.concat(starts, F.get(s["chars"], i), ends)
+
+    escaped = text
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(name))
+    chars = F.transform(F.split(text, ""), lambda c: F.when(c.isin("&", "<", ">"), F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))).otherwise(c))
+    at = F.filter(indices, lambda i: (i >= 0) & (i < F.length(text)))
+    whole = F.transform(
+        F.array(F.struct(chars.alias("chars"), at.alias("at"))),
+        lambda s: F.concat(F.array_join(F.transform(s["at"], lambda i, k: piece(s, i, k)), ""), plain(s, F.element_at(s["at"], -1) + 1, F.size(s["chars"]))),
+    )
+    return F.when(F.size(at) == 0, escaped).otherwise(F.get(whole, F.lit(0)))
 
 
 def html_of(text: str, indices: list[int], tag: str = "mark") -> str:

@@ -87,7 +87,7 @@ PATHS = Preset(delimiters="/\\", white_bonus=8, delimiter_bonus=9, initial=CharC
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """``limit`` 0: all hits. ``parallel`` and ``threads`` advise: more than one thread asks for so many partitions."""
+    """``limit`` 0: all hits. ``parallel`` and ``threads`` advise: with both, more threads than the session has ask for so many partitions."""
 
     case: Case = Case.SMART
     norm: Norm = Norm.SMART

@@ -39,8 +39,8 @@ def regex_of(atom: Atom, unicode: Unicode = Unicode.FULL, possessive: bool = Tru
         return "[^\\x{0}-\\x{10ffff}]"  # a character to which nothing folds
     white = "[" + "".join(_cp(ord(c)) for c in WHITE) + "]"
     literal = "".join(_one(cps, possessive) for cps in every)
-    lead = "" if _is_white(atom.needle[0]) else white + more
-    tail = "" if _is_white(atom.needle[-1]) else white + "*"
+    lead = "" if is_white(atom.needle[0]) else white + more
+    tail = "" if is_white(atom.needle[-1]) else white + "*"
     if atom.mode == Mode.FUZZY:
         return "\\A" + "".join(_others(cps, possessive) + _one(cps, possessive) for cps in every)
     return {Mode.SUBSTRING: literal, Mode.PREFIX: f"\\A{lead}{literal}", Mode.POSTFIX: f"{literal}{tail}\\z", Mode.EXACT: f"\\A{lead}{literal}{tail}\\z"}[atom.mode]
@@ -62,7 +62,7 @@ def _others(cps: list[int], java: bool) -> str:
     return f"(?:{_ascii_but(cps)}++|[^\\x{{0}}-\\x{{7f}}{''.join(_cp(c) for c in cps if c >= 0x80)}])*+"
 
 
-def _is_white(char: str) -> bool:
+def is_white(char: str) -> bool:
     return char in WHITE_ASCII or char in WHITE
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernel
+from ..functions.literal import is_literal, literal_scores
 from ..functions.options import Mode, Preset, Scoring, SearchOptions
 from ..functions.predicates import matches
 from ..functions.query import Atom, parse
@@ -20,17 +21,32 @@ HIT = ("idx", "score", "matched_kind", "matched_key", "indices")
 def match_score(text: Column, query: str, mode: Mode = Mode.FUZZY, options: SearchOptions = SearchOptions(), preset: Preset = Preset()) -> Column:
     """The score of one text, -1 without a match; usable in any DataFrame, joins and streams included."""
     atoms = parse(query, Mode(mode), options.case, options.norm, preset.unicode)
-    scoring = options.scoring
-    if scoring == Scoring.OFF or all(a.negative for a in atoms):
-        return F.when(matches(F.coalesce(text, F.lit("")), atoms, preset.unicode), F.lit(0)).otherwise(F.lit(-1))
+    return text_score(F.coalesce(text, F.lit("")), atoms, options.scoring, preset)
+
+
+def is_native(atoms: tuple[Atom, ...], scoring: Scoring) -> bool:
+    return scoring == Scoring.OFF or all(a.negative or is_literal(a) for a in atoms)
+
+
+def text_score(text: Column, atoms: tuple[Atom, ...], scoring: Scoring, preset: Preset) -> Column:
+    """The score or -1. Python is asked for words in fuzzy mode only."""
+    if is_native(atoms, scoring):
+        score = F.lit(0) if scoring == Scoring.OFF else literal_scores(text, atoms, preset)
+        return F.when(matches(text, atoms, preset.unicode), score).otherwise(F.lit(-1))
 
     @F.pandas_udf("int")
     def score(batch: pd.Series) -> pd.Series:
-        return pd.Series(kernel.score_texts(batch.fillna("").tolist(), atoms, scoring, preset)).astype("int32")
+        return pd.Series(kernel.score_texts(batch.tolist(), atoms, scoring, preset)).astype("int32")
 
     return score.asNondeterministic()(text)  # else a filter on the score evaluates it twice
 
 
+def best_of(texts: Column, atoms: tuple[Atom, ...], scoring: Scoring, preset: Preset) -> Column:
+    """``struct<score,key>`` of the first best text of an array, natively."""
+    each = F.transform(texts, lambda t: text_score(t, atoms, scoring, preset))
+    return F.get(F.transform(F.array(each), lambda s: F.struct(F.array_max(s).alias("score"), (F.array_position(s, F.array_max(s)) - 1).cast("int").alias("key"))), F.lit(0))
+
+
 def match_indices(text: Column, query: str, mode: Mode = Mode.FUZZY, options: SearchOptions = SearchOptions(), preset: Preset = Preset()) -> Column:
     """Matched code point positions of a text that matches."""
     atoms = parse(query, Mode(mode), options.case, options.norm, preset.unicode)
@@ -50,23 +66,14 @@ def _alive(text: str, atoms: tuple[Atom, ...], preset: Preset) -> bool:
 def scored(items: DataFrame, atoms: tuple[Atom, ...], scoring: Scoring, preset: Preset, keyed: bool) -> DataFrame:
     """Matching items with ``score`` and ``matched_key``. The first key with the largest score wins."""
     own = matches(F.col("text"), atoms, preset.unicode)
-    texts = F.transform("keys", lambda k: k["text"])
-    native = scoring == Scoring.OFF or all(a.negative for a in atoms)
     if not keyed:
-        found = items.where(own)
-        if native:
-            return found.withColumn("score", F.lit(0)).withColumn("matched_key", F.lit(0))
-
-        @F.pandas_udf("int")
-        def one(batch: pd.Series) -> pd.Series:
-            return pd.Series(kernel.score_texts(batch.tolist(), atoms, scoring, preset)).astype("int32")
-
-        return found.withColumn("score", one.asNondeterministic()("text")).where("score >= 0").withColumn("matched_key", F.lit(0))
-    any_key = F.exists(texts, lambda t: matches(t, atoms, preset.unicode))
-    found = items.where(own | any_key)
-    if native:
-        first = F.array_position(F.transform(texts, lambda t: matches(t, atoms, preset.unicode)), F.lit(True)).cast("int")
-        return found.withColumn("score", F.lit(0)).withColumn("matched_key", F.when(own, F.lit(0)).otherwise(first))
+        found = items.where(own).withColumn("score", text_score(F.col("text"), atoms, scoring, preset))
+        return (found if is_native(atoms, scoring) else found.where("score >= 0")).withColumn("matched_key", F.lit(0))
+    texts = F.transform("keys", lambda k: k["text"])
+    found = items.where(own | F.exists(texts, lambda t: matches(t, atoms, preset.unicode)))
+    if is_native(atoms, scoring):
+        best = best_of(F.concat(F.array("text"), texts), atoms, scoring, preset)
+        return found.withColumn("__best", best).withColumn("score", F.col("__best.score")).withColumn("matched_key", F.col("__best.key")).drop("__best")
 
     @F.pandas_udf("struct<score:int,key:int>")
     def best(text: pd.Series, more: pd.Series) -> pd.DataFrame:
@@ -107,7 +114,7 @@ def search(items: DataFrame, query: str, mode: Mode, options: SearchOptions, pre
     """``items`` (idx, text, keys if keyed, raw) to hits in order: score descending, then idx; without scores idx alone."""
     mode = Mode(mode)
     atoms = parse(query, mode, options.case, options.norm, preset.unicode)
-    if options.threads > 1:
+    if options.parallel and options.threads > items.sparkSession.sparkContext.defaultParallelism:
         items = items.repartition(options.threads)
     hits = scored(items, atoms, options.scoring, preset, keyed)
     kind, won = F.lit(0), F.col("text")

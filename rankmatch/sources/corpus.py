@@ -226,9 +226,9 @@ class Corpus:
         return _pool.submit(df.collect)
 
     def many(self, queries: list[str], mode: Mode = Mode.FUZZY, **options) -> DataFrame:
-        """The best hits of many queries in one scan."""
+        """The best hits of many queries in one scan, over all keys."""
         self._open()
-        return search_many(self.items, queries, mode, self.options.merged(**options), self.preset)
+        return search_many(self.items, queries, mode, self.options.merged(**options), self.preset, self.keyed)
 
     @property
     def one(self) -> One:
