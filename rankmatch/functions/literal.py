@@ -6,6 +6,7 @@ The classes of a window are digits: ASCII by one ``translate``, the rest by one
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column
@@ -116,4 +117,5 @@ def literal_score(text: Column, atom: Atom, preset: Preset) -> Column:
 
 def literal_scores(text: Column, atoms: tuple[Atom, ...], preset: Preset) -> Column:
     """The sum over the positive atoms, all of which must be literal and match."""
-    return sum((literal_score(text, a, preset) for a in atoms if not a.negative), F.lit(0)).cast("int")
+    times = Counter(as_substring(a) for a in atoms if not a.negative)  # a word said twice is scored once
+    return sum((literal_score(text, a, preset) * n for a, n in times.items()), F.lit(0)).cast("int")

@@ -69,7 +69,7 @@ def is_white(char: str) -> bool:
 def matches(text: Column, atoms: tuple[Atom, ...], unicode: Unicode = Unicode.FULL) -> Column:
     """All positive atoms match and no negative one does. Cheap length tests come first."""
     tests = []
-    for a in sorted(atoms, key=lambda a: a.negative):
+    for a in sorted(dict.fromkeys(atoms), key=lambda a: a.negative):
         found = (F.length(text) >= len(a.needle)) & text.rlike(regex_of(a, unicode))
         tests.append(~found if a.negative else found)
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)

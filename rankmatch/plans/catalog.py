@@ -12,6 +12,7 @@ from ..functions.highlight import highlight_html, to_utf16
 from ..functions.options import DEFAULT, PATHS, Case, Mode, Norm, Preset, Scoring
 from ..operators.search import match_score
 from ..sources.corpus import Corpus
+from .more import QUERIES
 from .oracle import search_sql
 
 PART, CUSTOMER, PAGES, DOCUMENTS = ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name"), ("pages", "page_id", "url"), ("documents", "doc_id", "text")
@@ -217,6 +218,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "alternates": (alternates, "SELECT p_partkey AS idx, 2::INT AS matched_kind, 1::INT AS matched_key FROM part WHERE ends_with(p_name, 'widget')"),
     "length": (length, "SELECT count(*) AS n FROM part"),
     "batch": (batch, " UNION ALL ".join(f"SELECT '{q}' AS query, idx, score, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM ({search_sql(*PART, q, limit=50)})" for q in MANY)),
+    **QUERIES,
     "column_function": (column_function, f"SELECT p_brand, count(*) AS n, max(score)::INT AS top FROM ({search_sql(*PART, 'rg')}) JOIN part ON p_partkey = idx GROUP BY p_brand"),
 }
 

@@ -7,7 +7,7 @@ from rankmatch.plans import catalog
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["exact_off", "fuzzy_fast", "fuzzy_nucleo", "query_operators", "substring_score", "prefer_prefix_nucleo", "by_keys_best", "html", "remove_where", "batch"]
+SOME = ["exact_off", "fuzzy_fast", "fuzzy_nucleo", "query_operators", "substring_score", "prefer_prefix_nucleo", "by_keys_best", "html", "remove_where", "batch", "add_keys", "trimmed", "exact_anchors", "most_atoms", "fast_positions", "nucleo_positions", "batch_keys"]
 
 
 def test_every_query_is_there_with_its_sql():
