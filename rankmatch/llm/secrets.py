@@ -19,6 +19,7 @@ ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 ORDER = ("assign", "access", "hex", "entropy")
+SPANS, CHUNK = "array<struct<start:bigint,stop:bigint,found:string,value:string>>", 128
 
 
 @dataclass(frozen=True)
@@ -55,20 +56,28 @@ class SecretConfig:
 def located(text: Column, pattern: str, group: int | None = None) -> Column:
     """``array<struct<start,stop,found,value>>`` of the leftmost non-overlapping matches, in code points.
 
-    Between the matches lie what ``split`` returns, so starts are running sums of lengths.
+    Between the matches lie what ``split`` returns, so starts are running sums of lengths. They are summed a chunk at a time, so
+    that what is appended to stays small however many matches a text has.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(found.alias("found"), value.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"))
-    empty = F.expr("struct(0L AS at, cast(array() AS array<struct<start:bigint,stop:bigint,found:string,value:string>>) AS spans)")
+    none = f"cast(array() AS {SPANS})"
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["before"])
         stop = start + F.length(x["found"])
         return F.struct(stop.alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found"), x["value"].alias("value"))).alias("spans"))
 
-    none = F.expr("cast(array() AS array<struct<start:bigint,stop:bigint,found:string,value:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, step, lambda s: s["spans"])).otherwise(none)
+    def chunk(done: Column, all_parts: Column, k: Column) -> Column:
+        zero = F.struct(F.element_at(done, -1)["at"].alias("at"), F.expr(none).alias("spans"))
+        return F.array_append(done, F.aggregate(F.slice(all_parts, k * CHUNK + 1, CHUNK), zero, step))
+
+    def every(p: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.expr(f"array(struct(0L AS at, {none} AS spans))"), lambda done, k: chunk(done, p, k), lambda done: F.flatten(F.transform(done, lambda c: c["spans"])))
+
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(parts), every), F.lit(0))).otherwise(F.expr(none))
 
 
 def of_kind(spans: Column, kind: str) -> Column:

@@ -120,3 +120,12 @@ def test_wrapped_licences_are_found_whole(spark):
         spans = [(r["text"][x["start"] : x["stop"]], x["family"]) for x in r["licenses"]]
         assert any(f == r["family"] and s in r["body"] for s, f in spans), r["text"]
     assert sum((r["body"], r["family"]) in [(r["text"][x["start"] : x["stop"]], x["family"]) for x in r["licenses"]] for r in got) > len(got) / 2
+
+
+def test_many_matches_in_one_text(spark):
+    """More than a chunk of them, around its edges."""
+    rows = [(n, "é𝄞 " + "".join(f"token={k:08d}{'-' * (k % 3)} " for k in range(n))) for n in (1, secrets.CHUNK - 1, secrets.CHUNK, secrets.CHUNK + 1, 2 * secrets.CHUNK, 3000)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "n int, text string")).select("n", "text", "base_spans").collect()
+    for r in found:
+        spans = [(s["start"], s["stop"]) for s in r["base_spans"]]
+        assert len(spans) == r["n"] and all(r["text"][a:b].startswith(f"token={k:08d}") and r["text"][b] == " " for k, (a, b) in enumerate(spans))
