@@ -32,6 +32,23 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if x != r}
 
 
+def test_few_and_many_edges_have_the_same_components(spark, monkeypatch):
+    """Few edges take few jobs; the rounds that many edges take return the same, and keys that are no integers take these rounds."""
+    from rankmatch.llm import components as module
+
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-150, 150, (200, 2))] + [(i, i + 1) for i in range(400, 440)] + [(None, 3)], "a bigint, b bigint").persist()
+    edges.count()
+    spark.sparkContext.setJobGroup("few edges", "")
+    few = sorted(components(edges).collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+    assert components(edges.where("a is null")).collect() == [] and components(edges).dtypes == [("node", "bigint"), ("root", "bigint")]
+    names = components(edges.select(F.format_string("%05d", F.col("a") + 1000).alias("a"), F.format_string("%05d", F.col("b") + 1000).alias("b")).where("a > '00000'"))
+    monkeypatch.setattr(module, "TASK_ROWS", 100)
+    assert few == sorted(components(edges).collect()) == sorted((int(r["node"]) - 1000, int(r["root"]) - 1000) for r in names.collect())
+
+
 def test_packing_holds_every_token_once(spark, docs):
     from tokenizers import Tokenizer
 
